@@ -1,8 +1,8 @@
 """Queries of this package and, where SQL can express them, their DuckDB SQL."""
 
-from textloom.llm import simhash
+from textloom.llm import mixing, quality, simhash
 
-MODULES = [simhash]
+MODULES = [mixing, quality, simhash]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
