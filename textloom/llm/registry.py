@@ -1,8 +1,8 @@
 """Queries of this package and, where SQL can express them, their DuckDB SQL."""
 
-from textloom.llm import counting, mixing, quality, simhash
+from textloom.llm import counting, mixing, quality, simhash, substring
 
-MODULES = [counting, mixing, quality, simhash]
+MODULES = [counting, mixing, quality, simhash, substring]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
