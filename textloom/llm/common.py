@@ -38,11 +38,6 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str:
-    """A file: URI of the shared folder as a path for Python's own file functions."""
-    return path[len("file:"):].replace("//", "/", 1) if path.startswith("file:") else path
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less its columns that clash (in any case) with ``names``."""
     low = {n.lower() for n in names}
@@ -62,6 +57,8 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _WORD, _LOWER = _classes()
+_VISIBLE = np.ones(256, bool)
+_VISIBLE[[9, 10, 11, 12, 13, 32]] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -105,19 +102,24 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, visible: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts raw[offsets[i]:offsets[i+1]]: first byte and end (positions in
     ``raw``), row, and 64-bit hash. A word is a maximal run of ASCII letters and digits and
-    of bytes of other characters; ASCII case is folded, so the hash ignores it."""
+    of bytes of other characters; ASCII case is folded, so the hash ignores it. With
+    ``visible`` runs of any other visible characters are words too."""
+    kind = _VISIBLE if visible else _WORD
     base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
     data = raw[base : base + n]
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _WORD[data]
+    inside[1:-1] = kind[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets - base] = True
+    if visible:
+        letter = _WORD[data]
+        edge[1:-1] |= letter[1:] != letter[:-1]
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     p, inv = powers(n)
