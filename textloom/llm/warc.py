@@ -74,7 +74,7 @@ class _Bundle:
     def __init__(self, uri: str, name: str):
         self.name = name
         files, path = _filesystem(uri)
-        self.out = files.open_output_stream(f"{path}/{name}")
+        self.out = files.open_output_stream(f"{path}/{name}", compression=None)  # the frames are compressed already
         self.frames: list[tuple[int, int]] = []
         self.size = 0
 
