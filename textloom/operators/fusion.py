@@ -93,15 +93,15 @@ def multiquery(index: Index, questions: DataFrame, k: int = 5, extra: DataFrame
     ask = ask.withColumn("phrase", F.when(F.col("qi") > 0, T.phrase_pattern(F.col("probe"))))
     texts = index.chunks.select("cid", T.fold(F.col("text")).alias("t"))
     found = hits.join(ask.select("qid", "qi", "on_topic", "phrase"), ["qid", "qi"]).join(texts, "cid")
-    found = found.filter(F.col("on_topic") | F.coalesce(F.col("t").rlike(F.col("phrase")), F.lit(False)))
+    found = found.filter(F.col("on_topic") | F.coalesce(F.rlike(F.col("t"), F.col("phrase")), F.lit(False)))
     weight = F.when(F.col("on_topic"), F.when(F.col("qi") == 0, orig_weight).otherwise(1.0) / (rrf_k + F.col("r") + 1)).otherwise(0.0)
     base = found.groupBy("qid", "cid").agg(F.sum(weight).alias("s"), F.min(F.struct("qi", "r")).alias("first"), F.first("t").alias("t"),
                                            F.min(F.when((F.col("qi") == 0) & (F.col("r") < 2), F.col("r"))).alias("orig"))
     names = ask.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list(T.definition_names(F.col("probe"))))).alias("names"),
                                    F.collect_list("phrase").alias("phrases"))
     base = base.join(names, "qid")
-    matched = F.aggregate("phrases", F.lit(0), lambda n, p: n + F.col("t").rlike(p).cast("int"))
-    defined = F.coalesce(F.col("t").rlike(T.definition_pattern(F.col("names"))), F.lit(False))
+    matched = F.aggregate("phrases", F.lit(0), lambda n, p: n + F.rlike(F.col("t"), p).cast("int"))
+    defined = F.coalesce(F.rlike(F.col("t"), T.definition_pattern(F.col("names"))), F.lit(False))
     total = F.round(F.col("s") + phrase_bonus * matched + F.when(defined, def_bonus).otherwise(0.0), 12)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "first")
     order = base.select("qid", "cid", total.alias("score"), "first", "orig").filter("score > 0").withColumn("pos", F.row_number().over(w) - 1)

@@ -28,8 +28,8 @@ def iterative(index: Index, questions: DataFrame, k: int = 5, max_hops: int = 24
             break
         ask = state.select("qid", F.concat(F.lit("variable "), F.col("x")).alias("question"))
         hits = with_text(index, search(index, ask, per_hop, flavour)).select("qid", "cid", "score", "rank", "text").join(state, "qid")
-        to = F.regexp_extract("text", F.concat(F.lit("variable "), F.col("x"), F.lit(" equal variable ([a-z0-9]+)")), 1)
-        is_ = F.col("text").rlike(F.concat(F.lit("variable "), F.col("x"), F.lit(" (be|is|=) ")))
+        to = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("variable "), F.col("x"), F.lit(" equal variable ([a-z0-9]+)")), F.lit(1))
+        is_ = F.rlike(F.col("text"), F.concat(F.lit("variable "), F.col("x"), F.lit(" (be|is|=) ")))
         hits = hits.withColumn("to", to).withColumn("defines", (F.col("to") != "") | is_)
         w = Window.partitionBy("qid").orderBy(F.desc("defines"), "rank")
         best = materialize(hits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("qid", "cid", "score", F.lit(hop).alias("hop"), "to", "defines", "x", "seen"), "hop")

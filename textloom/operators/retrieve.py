@@ -124,7 +124,7 @@ def stitch(pool: DataFrame, index: Index, k: int, pull: int = PULL, max_span: in
     rows = near.join(p, ["qid", "cid"], "left").join(index.chunks.select("cid", "text", "source", code), "cid")
     kind = pool.schema["qid"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         records = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
         got = stitch_rows(records, k, pull, max_span)
         return pd.DataFrame([(key[0], i, *g) for i, g in enumerate(got)], columns=["qid", "rank", "cid", "cids", "text", "score", "source"])
