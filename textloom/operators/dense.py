@@ -81,34 +81,40 @@ def encode(texts: DataFrame, id_col: str, text_col: str, encoder: Callable, is_q
     return texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {kind}, vec array<double>").withColumnRenamed("id", id_col)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "cid", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
-    """(qid, id, score, rank) by cosine. Each partition of vectors is multiplied with all question
-    vectors at once and keeps its own k best, so that only k rows for each partition and question
-    are shuffled. Ties go to the smaller id.
+BLOCK = 1024
+
+
+def _blocks(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
+    """(ids, vecs): up to BLOCK unit vectors a row, made where the rows are, without a shuffle."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), BLOCK):
+                part = b.iloc[at : at + BLOCK]
+                x = np.array(part["vec"].tolist(), np.float64)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm == 0, 1, norm)
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "vecs": [x.ravel()]})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec IS NOT NULL")
+    return rows.mapInPandas(run, f"ids array<{kind}>, vecs array<double>").select(*[F.col(c).alias(prefix + c) for c in ("ids", "vecs")])
 
-    The question vectors are sent to every task; there may be as many as a driver can hold, as
-    questions come in batches."""
-    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec")).toPandas()
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "cid", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
+    """(qid, id, score, rank) by cosine. Vectors and questions are put into blocks, each pair of
+    blocks is one matrix product that keeps its own k best of each question, and only these are
+    shuffled. Which side is sent to all tasks, if any, is Catalyst's choice by size. Ties go to
+    the smaller id."""
     kind, qkind = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
-    schema = f"qid {qkind}, id {kind}, score double"
-    if not len(q):
-        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).withColumnRenamed("id", id_col)
-    m = np.array(q["qvec"].tolist(), np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast((q["qid"].tolist(), m / np.where(norm == 0, 1, norm)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, qm = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b["vec"].tolist(), np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            s = np.round((x / np.where(n == 0, 1, n)) @ qm.T, PLACES)
-            key = b["id"].to_numpy()
-            for j, i in enumerate(ids):
-                top = np.lexsort((key, -s[:, j]))[:k]
-                yield pd.DataFrame({"qid": i, "id": key[top], "score": s[top, j]})
-
-    local = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec IS NOT NULL").mapInPandas(run, schema)
+            for vi, v, qi, q in zip(b["vids"], b["vvecs"], b["qids"], b["qvecs"]):
+                key = np.asarray(vi)
+                s = np.round(np.asarray(v).reshape(len(vi), -1) @ np.asarray(q).reshape(len(qi), -1).T, PLACES)
+                order = np.lexsort((np.broadcast_to(key[:, None], s.shape), -s), axis=0)[:k]
+                yield pd.DataFrame({"qid": np.repeat(np.asarray(qi)[None], len(order), 0).ravel(), "id": key[order].ravel(), "score": np.take_along_axis(s, order, 0).ravel()})
+
+    pairs = _blocks(vectors, id_col, vec_col, "v").crossJoin(_blocks(queries, qid, qvec, "q"))
+    local = pairs.select("vids", "vvecs", "qids", "qvecs").mapInPandas(run, f"qid {qkind}, id {kind}, score double")
     return ranked(local, k, F.asc("id")).withColumnRenamed("id", id_col)
