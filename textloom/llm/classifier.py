@@ -25,7 +25,7 @@ EPOCHS, BATCH, RATE, SEED = 8, 64, 0.1, 7
 #: Factor on the mean, so that single words among hundreds get steps that count.
 GAIN = 30.0
 #: Most labelled rows that training takes: those with the smallest hashes of their ids.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 6_000
 HEADS = ("quality", "toxic")
 
 
@@ -68,7 +68,8 @@ class Corpus(NamedTuple):
     n: int
 
 
-def corpus(raw: np.ndarray, offsets: np.ndarray) -> Corpus:
+def corpus(raw: np.ndarray, offsets: np.ndarray, hashes: bool = False):
+    """The Corpus of the texts at ``offsets`` and, where asked for, the hashes of its words."""
     start, end, row, h = words(raw, offsets, visible=True)
     n = len(offsets) - 1
     again = np.r_[False, (h[1:] == h[:-1]) & (row[1:] == row[:-1])]
@@ -79,7 +80,29 @@ def corpus(raw: np.ndarray, offsets: np.ndarray) -> Corpus:
     key, count = np.unique(row * max(len(first), 1) + word, return_counts=True)
     row, word = key // max(len(first), 1), key % max(len(first), 1)
     total = np.bincount(row, weights=count, minlength=n)
-    return Corpus(buckets, begin, row, word, count / np.maximum(total[row], 1), n)
+    out = Corpus(buckets, begin, row, word, count / np.maximum(total[row], 1), n)
+    return (out, h[first]) if hashes else out
+
+
+def training_corpus(raw: np.ndarray, offsets: np.ndarray) -> Corpus:
+    """``corpus`` of many texts, made slice by slice, so that memory doesn't follow their bytes."""
+    keys, sizes, buckets, rows, ids, weights = [], [], [], [], [], []
+    for a, b in slices(offsets):
+        c, h = corpus(raw, offsets[a : b + 1], hashes=True)
+        keys.append(h)
+        sizes.append(np.diff(np.append(c.begin, len(c.buckets))).astype(np.int32))
+        buckets.append(c.buckets.astype(np.int32))
+        rows.append((c.row + a).astype(np.int32))
+        ids.append(h[c.word])
+        weights.append(c.weight.astype(np.float32))
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    key, size, flat = join(keys, np.uint64), join(sizes, np.int32), join(buckets, np.int32)
+    start = np.cumsum(size, dtype=np.int64) - size
+    word, first = np.unique(key, return_index=True)
+    span = size[first].astype(np.int64)
+    begin = np.cumsum(span) - span
+    flat = flat[np.arange(span.sum(), dtype=np.int32) + np.repeat((start[first] - begin).astype(np.int32), span)]
+    return Corpus(flat, begin, join(rows, np.int32), np.searchsorted(word, join(ids, np.uint64)).astype(np.int32), join(weights, np.float32), len(offsets) - 1)
 
 
 def _means(table: np.ndarray, buckets: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -99,7 +122,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     """``labels``: texts x heads of 0, 1, or -1 for unknown."""
     arr = pa.array(texts, pa.string())
     offsets, raw = buffers(arr)
-    c = corpus(raw, offsets)
+    c = training_corpus(raw, offsets)
     rng = np.random.default_rng(seed)
     heads = labels.shape[1]
     vec = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -127,15 +150,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             flat = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(c.begin[uw], span)
             bk = c.buckets[flat]
             wv = np.add.reduceat(vec[bk], np.cumsum(span) - span, axis=0) / span[:, None]
-            mix_ = np.zeros((len(at), len(uw)), np.float32)
-            mix_[doc, inv] = c.weight[sel]
-            hid = (mix_ @ wv) * np.float32(GAIN)
+            share = c.weight[sel][:, None] * np.float32(GAIN)
+            hid = np.zeros((len(at), DIM), np.float32)
+            there = np.flatnonzero(np.diff(doc, prepend=-1))
+            hid[doc[there]] = np.add.reduceat(wv[inv] * share, there, axis=0)
             score = hid @ out + bias
             e = np.exp(score - score.reshape(len(at), heads, 2).max(2).repeat(2, axis=1))
             prob = e / e.reshape(len(at), heads, 2).sum(2).repeat(2, axis=1)
             err = np.where(known[at], prob - target[at], 0) / len(at)
-            g_out, g_bias, g_hid = hid.T @ err, err.sum(0), err @ out.T * np.float32(GAIN)
-            g_word = (mix_.T @ g_hid) / span[:, None]
+            g_out, g_bias, g_hid = hid.T @ err, err.sum(0), err @ out.T
+            g_pair = g_hid[doc] * share
+            g_word = np.stack([np.bincount(inv, g_pair[:, d], len(uw)) for d in range(DIM)], 1).astype(np.float32) / span[:, None]
             order = np.argsort(bk.astype(np.int32), kind="stable")
             there = np.flatnonzero(np.diff(bk[order], prepend=-1))
             ub = bk[order[there]]
