@@ -32,7 +32,7 @@ def model_bm25(chunks, q, k):
     df = Counter(t for x in toks for t in set(x))
     n, avg = len(chunks), sum(map(len, toks)) / len(chunks)
     qs = terms(q)
-    qs = qs + [s for s in (t[:-1] if len(t) > 3 and t.endswith("s") and t[-2:] not in ("ss", "us", "is") else t for t in qs) if s not in qs]
+    qs = qs + [s for s in (re.sub("(?<=..)(?<![ius])s$", "", t) if len(t) > 3 else t for t in qs) if s not in qs]
     out = []
     for i, x in enumerate(toks):
         f = Counter(x)

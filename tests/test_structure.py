@@ -105,4 +105,4 @@ def test_repository_scan(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('// comment\n\n{"id": 1, "gold": ["a"]}\n')
     assert [tuple(r) for r in files.jsonl(spark, str(tmp_path / "q.jsonl"), "id int, gold array<string>").collect()] == [(1, ["a"])]
     docs = files.read_documents(spark, str(tmp_path), "lib")
-    assert [r.text for r in files.read_around(docs, "lib/src/a.py", "def a", 1).collect()] == ["def a(): pass"]
+    assert [r.text for r in files.read_around(docs, "lib/src/a.py", 1, "def a").collect()] == ["def a(): pass"]

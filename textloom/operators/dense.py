@@ -52,8 +52,8 @@ class HashEncoder:
     def __call__(self, texts: list[str], is_query: bool = False) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, t in zip(out, texts):
-            for w in re.findall("[a-z0-9]+", t.lower()):
-                row[zlib.crc32(w.encode()) % self.dim] += 1
+            places = [zlib.crc32(bytes(w, "utf-8")) % self.dim for w in re.split("[^0-9a-z]+", t.lower()) if w]
+            np.add.at(row, places, 1)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 

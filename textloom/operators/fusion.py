@@ -77,7 +77,7 @@ def probes(questions: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 
 def multiquery(index: Index, questions: DataFrame, k: int = 5, extra: DataFrame | None = None, flavour: Flavour = BM25, rrf_k: int = RRF_K,
-               orig_weight: float = 3.0, phrase_bonus: float = 0.5, def_bonus: float = 0.3) -> DataFrame:
+               def_bonus: float = 0.3, phrase_bonus: float = 0.5, orig_weight: float = 3.0) -> DataFrame:
     """(qid, cid, score, rank) over all probes of each question.
 
     The question's own ranks weigh ``orig_weight``. A probe that shares no term with the question or

@@ -111,9 +111,9 @@ def regex_reader(question: str, batch: list[tuple]) -> str:
     import re
 
     text = "\n".join(t for _, t, _ in batch)
-    entity = re.search(r"entity ([a-z]+-\d+)", question)
-    bound = re.search(rf"entity {re.escape(entity.group(1))}\D*(\d{{7}})", text) if entity else None
-    every = re.findall(r"\b(\d{7})\b", text)
+    asked = re.findall("entity ([a-z]+-[0-9]+)", question)[:1]
+    bound = next((re.search(f"entity {x}[^0-9]*([0-9]{{7}})", text) for x in asked), None)
+    every = re.findall(r"\b[0-9]{7}\b", text)
     return bound.group(1) if bound else every[-1] if every else ""
 
 

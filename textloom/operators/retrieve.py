@@ -160,7 +160,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1) -> DataFrame:
     return want.join(chunks.select("doc_seq", "chunk_no", F.col("cid").alias("near"), "text"), ["doc_seq", "chunk_no"]).select("qid", "cid", "near", "text")
 
 
-# --------------------------------------------------------------------------- output
+# == output
 
 def context_block(hits: DataFrame, separator: str = "\n\n---\n\n", label: str = "[{}] ", qid: str = "qid") -> DataFrame:
     """(qid, context): labelled texts (source, text, rank), best first. Untitled ones have no label."""

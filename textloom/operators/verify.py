@@ -15,7 +15,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IMPORT = re.compile(r"^[ \t]*(?:from\s+([\w.]+)\s+import\s+(\([^)]*\)|[\w ,\t*]+)|import\s+([\w.]+))", re.M)
+PLAIN_IMPORT = re.compile(r"(?m)^[\t ]*import\s+(?P<module>[.\w]+)")
+FROM_IMPORT = re.compile(r"(?m)^[\t ]*from\s+(?P<module>[.\w]+)\s+import\s+(?P<names>[*,\t \w]+|\([^()]*\))")
+BLOCK = re.compile(r"(?ms)```(?P<tag>\w*)[\t ]*\n(?P<body>.*?)```")
+
+
+def imports(code: str) -> Iterator[tuple[str, str | None]]:
+    """(module, name) of every import; the name is None for the module itself."""
+    for m in PLAIN_IMPORT.finditer(code):
+        yield m["module"], None
+    for m in FROM_IMPORT.finditer(code):
+        yield m["module"], None
+        for name in re.findall(r"(?:^|,)\s*(\w+)", m["names"].strip("()")):
+            yield m["module"], name
+
+
+def python_blocks(text: str | None) -> list[str]:
+    return [m["body"] for m in BLOCK.finditer(text or "") if m["tag"].lower() in ("py", "python", "")]
+
+
+def _local(alias: ast.alias) -> str:
+    """The name that an import binds."""
+    return alias.asname or alias.name.partition(".")[0]
 
 
 def module_symbols(source: str) -> list[str] | None:
@@ -26,14 +47,15 @@ def module_symbols(source: str) -> list[str] | None:
         return None
     out: list[str] = []
     for n in body:
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            out.append(n.name)
-        elif isinstance(n, ast.Assign):
-            out += [t.id for t in n.targets if isinstance(t, ast.Name)]
-        elif isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name):
-            out.append(n.target.id)
-        elif isinstance(n, (ast.Import, ast.ImportFrom)):
-            out += [(a.asname or a.name).split(".")[0] for a in n.names if a.name != "*"]
+        match n:
+            case ast.ClassDef(name=name) | ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+                out.append(name)
+            case ast.Assign(targets=targets):
+                out.extend(t.id for t in targets if isinstance(t, ast.Name))
+            case ast.AnnAssign(target=ast.Name(id=name)):
+                out.append(name)
+            case ast.ImportFrom(names=names) | ast.Import(names=names):
+                out.extend(_local(a) for a in names if a.name != "*")
     return out
 
 
@@ -59,19 +81,14 @@ def symbols(files: DataFrame, package: str) -> DataFrame:
 def references(answers: DataFrame, package: str) -> DataFrame:
     """(qid, module, name, chain): imports of the package (name null for the module itself) and dotted
     chains (chain true, module the whole chain)."""
-    dotted = re.compile(rf"\b({re.escape(package)}(?:\.\w+)+)")
+    chain = re.compile(r"\b" + re.escape(package) + r"(?:[.]\w+)+")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for q, code in zip(b["qid"], b["code"]):
-                for m in IMPORT.finditer(code or ""):
-                    mod = m.group(1) or m.group(3)
-                    if mod.startswith(package):
-                        names = [n.strip(" ()\t\n").split(" as ")[0] for n in (m.group(2) or "").split(",")]
-                        names = [n for n in names if n and n != "*"]
-                        rows += [(q, mod, n, False) for n in [None, *names]]
-                rows += [(q, m.group(1), None, True) for m in dotted.finditer(code or "")]
+            for q, code in zip(b["qid"], b["code"].fillna("")):
+                rows += [(q, module, name, False) for module, name in imports(code) if module.startswith(package)]
+                rows += [(q, found, None, True) for found in chain.findall(code)]
             yield pd.DataFrame(rows, columns=["qid", "module", "name", "chain"])
 
     kind = answers.schema["qid"].dataType.simpleString()
@@ -119,8 +136,7 @@ def symbol_map(symbol_table: DataFrame, relevant: list[str] | None = None, max_l
 def undefined_modules(code: str) -> list[str]:
     """Standard modules that code uses but never imports or binds. Nothing on a parse error or a
     star import: a false alarm would do more harm than a miss."""
-    tagged = re.findall(r"```([a-zA-Z]*)\n(.*?)```", code or "", re.S)
-    blocks = [b for tag, b in tagged if tag.lower() in ("", "py", "python")] if tagged else [code or ""]
+    blocks = python_blocks(code) if BLOCK.search(code or "") else [code or ""]
     trees = []
     for b in blocks:
         try:
@@ -134,7 +150,7 @@ def undefined_modules(code: str) -> list[str]:
             case ast.ImportFrom(names=names) | ast.Import(names=names):
                 if any(a.name == "*" for a in names):
                     return []
-                bound.update((a.asname or a.name).split(".")[0] for a in names)
+                bound.update(map(_local, names))
             case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
                 bound.add(name)
             case ast.arg(arg=name):
@@ -176,12 +192,10 @@ def verified_scores(documents: DataFrame, run_check: Callable[[str], int] | None
     """(source, score) of documents (title, text): the worst of its Python blocks decides: 2 runs (by
     default: parses), 1 fails with an error or in time, 0 doesn't parse. Python files and prose
     without blocks have 2; so has what the check fails on."""
-    fence = re.compile(r"```(?:python|py)?[ \t]*\n(.*?)```", re.S)
-
     def one(title: str, text: str) -> int:
         if (title or "").endswith(".py"):
             return 2
-        blocks = fence.findall(text or "")
+        blocks = python_blocks(text)
         if any(not parses(b) for b in blocks):
             return 0
         try:

@@ -87,8 +87,7 @@ class Engine:
         """A text, a list of texts or (title, text) pairs, or a DataFrame (doc_seq, title, text, kind, repo)."""
         if isinstance(docs, DataFrame):
             return self._add(docs)
-        if isinstance(docs, str):
-            docs = [(title, docs)]
+        docs = [(title, docs)] if isinstance(docs, str) else docs
         rows = [(i, *((None, d) if isinstance(d, str) else d), "prose", None) for i, d in enumerate(docs)]
         return self._add(self.spark.createDataFrame(rows, DOCUMENT))
 
@@ -191,8 +190,8 @@ class Engine:
     def search(self, query: str, k: int = 5) -> list[dict]:
         return [{"id": c, "text": t, "score": round(s, 4), "source": self.source_of(c)} for c, t, s in self.retrieve(query, k)]
 
-    def read_source(self, title: str, around: str = "", window: int = 120) -> str:
-        rows = files.read_around(self.documents, title, around, window).orderBy("line").collect()
+    def read_source(self, title: str, window: int = 120, around: str = "") -> str:
+        rows = files.read_around(self.documents, title, window, around).orderBy("line").collect()
         return "\n".join(r.text for r in rows)
 
     def list_symbols(self, symbol_table: DataFrame, module: str = "") -> DataFrame:

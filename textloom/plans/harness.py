@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
-DEPTHS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+DEPTHS = tuple(x / 100 for x in (0, 10, 25, 50, 75, 90, 100))
 SEED = 7
 FILLER = ("river stone lantern harvest quiet morning window paper garden wooden bridge winter candle market distant engine copper village "
           "shadow orchard letter ribbon valley thunder basket mirror kettle saddle meadow harbor").split()
@@ -27,7 +27,7 @@ def filler(target_tokens: int, rng: random.Random) -> list[str]:
     out, words = [], 0
     while words < target_tokens / 1.3:
         n = rng.randint(10, 20)
-        out.append(" ".join(rng.choice(FILLER) for _ in range(n)).capitalize() + ".")
+        out.append(" ".join(rng.choices(FILLER, k=n)).capitalize() + ".")
         words += n
     return out
 
@@ -66,8 +66,8 @@ def distractors(n: int, rng: random.Random) -> list[str]:
 def plant(sentences: list[str], supports: list[tuple[float, str]]) -> list[str]:
     """Supports at their depths of the text as it was, deepest first so that places don't move."""
     n, out = len(sentences), list(sentences)
-    for depth, s in sorted(supports, key=lambda x: -x[0]):
-        out.insert(int(depth * n), s)
+    for at, s in sorted(((int(depth * n), s) for depth, s in supports), reverse=True):
+        out.insert(at, s)
     return out
 
 
@@ -137,3 +137,31 @@ def memory_cost(spark: SparkSession, contexts: list[int], layers: int = 28, kv_h
     """(context, kv_gb, total_gb): a key and a value for each layer and head, the weights, and 1 GB."""
     kv = F.col("context") * (2 * layers * kv_heads * head_dim * bytes_) / 1e9
     return spark.createDataFrame([(c,) for c in contexts], "context bigint").select("context", kv.alias("kv_gb"), (kv + weights_gb + 1).alias("total_gb"))
+
+
+def sweep(spark: SparkSession, kinds: list[str], sizes: list[int], searches: dict[str, Callable], **task) -> DataFrame:
+    """One row (condition, task, tokens, items, recall, ...) for each condition, task and size: texts,
+    chunks and questions are the same for all conditions."""
+    from functools import reduce as fold
+
+    rows = [run_one(spark, kind, size, f, **task).withColumn("condition", F.lit(name)) for name, f in searches.items() for kind in kinds for size in sizes]
+    return fold(DataFrame.unionByName, rows)
+
+
+def report(rows: DataFrame) -> str:
+    """A table of recalls and, for the largest size of each condition and task, the depths."""
+    out = []
+    for r in rows.orderBy("condition", "task", "tokens").collect():
+        answered = "".join(f"{100 * a:.0f}%" for a in (r["answer_recall"],) if a is not None) or "-"
+        out.append(f"{r['condition']:<12} {r['task']:<10} {r['tokens']:>9} {100 * r['recall']:>4.0f}% {answered:>5}")
+    best = rows.groupBy("condition", "task").agg(F.max_by("per_depth", "tokens").alias("d")).orderBy("condition", "task").collect()
+    out += [f"{r['condition']} {r['task']}: " + ", ".join(f"{d['depth']:.2f} {'OK' if d['found'] else 'MISS'}" for d in r["d"]) for r in best]
+    return "\n".join(out)
+
+
+def naive_answers(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, answer) of the simplest system: hashed vectors and the regular-expression reader."""
+    from textloom.operators import dense, reduce
+
+    hits = dense.hash_search(chunks, questions, k).join(chunks.select("cid", "text"), "cid")
+    return reduce.answer(hits, questions, reduce.regex_reader, 1 << 30)

@@ -48,7 +48,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-# ----------------------------------------------------------------------------- SQL parts
+# == SQL parts
 
 def fold_sql(x: str) -> str:
     return (f"regexp_replace(strip_accents(lower(regexp_replace(regexp_replace(regexp_replace({x}, '([0-9]),([0-9])', '\\1\\2', 'g'), "
@@ -110,7 +110,7 @@ def search_sql(name: str, flavour: lexical.Flavour, k: int, source: str = "quest
   FROM {name}_s QUALIFY rank < {k})"""
 
 
-# ------------------------------------------------------------------ text functions
+# == text functions
 
 @query(f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents")
 def fold_text(spark, sf):
@@ -185,7 +185,7 @@ def groundedness(spark, sf):
     return g.select("conv_id", "turn", F.col("g.checked").cast("bigint").alias("checked"), F.size("g.flagged").cast("bigint").alias("flagged"))
 
 
-# --------------------------------------------------------------- chunks and the index
+# == chunks and the index
 
 @query(f"WITH RECURSIVE {CHUNKS} SELECT cid, doc_id, chunk_no, source, text FROM chunks")
 def sentence_chunks(spark, sf):
@@ -299,7 +299,7 @@ def stream_append_index(spark, sf):
     return chat.retrieve(chat.read_postings(spark, f"{base}/postings"), q, 3).select("conv_id", "turn", F.round("score", 6).alias("score"), "rank")
 
 
-# ------------------------------------------------------------------- reordering
+# == reordering
 
 def _pool(spark, sf, k: int):
     x = built(spark, sf)
@@ -387,7 +387,7 @@ def multiquery_topk(spark, sf):
     return fusion.multiquery(x, q, 5, probes).select("qid", "cid", F.round("score", 9).alias("score"), "rank")
 
 
-# --------------------------------------------------------------- matching and metrics
+# == matching and metrics
 
 @query(f"""WITH b AS (SELECT item_id, {sentences_sql('text')} AS s FROM benchmark),
 f AS (SELECT item_id, trim({fold_sql('x')}, '.,;:!? ') AS p FROM (SELECT item_id, unnest(s) AS x FROM b)),

@@ -11,16 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CODE = [".py", ".php", ".js", ".mjs", ".ts", ".tsx", ".jsx", ".rb", ".go", ".rs", ".java", ".kt", ".swift", ".c", ".h", ".cpp", ".hpp", ".cs", ".sh", ".ps1",
-        ".sql", ".html", ".css", ".scss", ".vue", ".svelte", ".twig", ".pas", ".dpr", ".dpk", ".inc", ".dfm", ".fmx"]
-DOCS = [".md", ".txt", ".rst"]
-CONFIG = [".json", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".xml"]
+CODE = ["." + x for x in "c cpp cs css dfm dpk dpr fmx go h hpp html inc java js jsx kt mjs pas php ps1 py rb rs scss sh sql svelte swift ts tsx twig vue".split()]
+DOCS = ["." + x for x in "md rst txt".split()]
+CONFIG = ["." + x for x in "cfg ini json toml xml yaml yml".split()]
 EXTRACTED = [".docx", ".pdf"]
-SPECIAL = ["dockerfile", "makefile", "procfile", "gemfile", "rakefile", "jenkinsfile", "vagrantfile"]
-SKIP = [".git", "__pycache__", "node_modules", ".venv", "venv", "vendor", "dist", "build"]
+SPECIAL = [x + "file" for x in "docker gem jenkins make proc rake vagrant".split()]
+SKIP = "build dist venv vendor node_modules __pycache__".split()  # hidden ones are skipped anyway
 
 DOCUMENT = "doc_seq bigint, title string, text string, kind string, repo string"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_W = "{http://schemas.openxmlformats.org/" + "wordprocessingml/2006/main}"
 
 
 def docx_text(data: bytes) -> str | None:
@@ -118,7 +117,7 @@ def message_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.posexplode(F.flatten("chat")).alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", F.col("m.content").alias("text"))
 
 
-def read_around(documents: DataFrame, title: str, around: str = "", window: int = 120) -> DataFrame:
+def read_around(documents: DataFrame, title: str, window: int = 120, around: str = "") -> DataFrame:
     """(line, text) of one source: all of it or, where a line has ``around``, the lines near it."""
     lines = documents.filter(F.col("title") == title).select(F.posexplode(F.split("text", "\n")).alias("line", "text"))
     if not around:
