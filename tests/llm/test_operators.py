@@ -37,7 +37,7 @@ def empty(spark):
     return table(spark, [])
 
 
-# 1 ------------------------------------------------------------------- token counts
+# 1: token counts
 
 def test_edits_equal_full_counts():
     tok, rng = counting.tokenizer(), random.Random(1)
@@ -86,7 +86,7 @@ def test_token_counts_of_all_documents(spark, sf):
         assert (r.n_tokens, r.n_tokens_after) == (len(enc.encode_ordinary(text[r.doc_id])), len(enc.encode_ordinary(new)))
 
 
-# 2 ------------------------------------------------------------------------- mixing
+# 2: mixing
 
 def brute_mix(rows, weights, seed=mixing.SEED):
     """Copies of each (source, id) by one running sum in Python."""
@@ -131,7 +131,7 @@ def test_prefix_sums_spread_a_hot_key(spark):
         assert [r.before for r in mine] == list(np.cumsum([0] + [r.v for r in mine])[:-1])
 
 
-# 3 ------------------------------------------------------------------------ packing
+# 3: packing
 
 def test_nnls_is_optimal():
     rng = np.random.default_rng(6)
@@ -161,7 +161,7 @@ def test_packing_places_every_token_once(spark, odd, empty):
     assert {r.doc_id for r in packing.pack_documents(odd).collect()} == {3, None, 4, 5, 6}
 
 
-# 4 --------------------------------------------------------------------------- chat
+# 4: chat
 
 def brute_chat(rows):
     out, convs = [], defaultdict(set)
@@ -193,7 +193,7 @@ def test_chat_equals_machine_in_python(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
-# 5 ------------------------------------------------------------------------ simhash
+# 5: simhash
 
 def brute_groups(docs):
     rows = [(i, t) for i, t in docs if i is not None and t]
@@ -250,7 +250,7 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
-# 6 ---------------------------------------------------------------------- substrings
+# 6: substrings
 
 def brute_windows(v, width):
     out = set()
@@ -315,7 +315,7 @@ def test_repeats_cover_what_brute_force_finds(spark, odd, empty):
     assert Counter((r.doc_id, r.text) for r in substring.cut_repeats(odd).collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
 
 
-# 7 ------------------------------------------------------------------------- quality
+# 7: quality
 
 def test_quality_rules_on_odd_rows(spark, odd, empty):
     m = {(r.doc_id, r.text): r for r in quality.measure(odd).collect()}
@@ -334,7 +334,7 @@ def test_quality_keeps_good_labelled_documents(spark, sf):
     assert len(good - kept) <= 0.01 * len(good)
 
 
-# 8 ---------------------------------------------------------------------------- WARC
+# 8: WARC
 
 def test_warc_round_trip(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
@@ -362,7 +362,7 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert warc.write_bundles(both.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
-# 9 ---------------------------------------------------------------------- embeddings
+# 9: embeddings
 
 @pytest.mark.parametrize("block", [64, 4096])
 def test_epsilon_grid_equals_brute_force(spark, block):
@@ -380,7 +380,7 @@ def test_epsilon_grid_equals_brute_force(spark, block):
         assert epsilon_grid.near_duplicates(df.limit(0)).count() == 0
 
 
-# 10 --------------------------------------------------------------------- classifier
+# 10: classifier
 
 def test_classifier_on_held_out_labels(spark, sf):
     sf = sf.replace("0.001", "0.01")

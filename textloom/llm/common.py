@@ -44,7 +44,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
-# --------------------------------------------------------------------------- words
+# == words
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(256, bool)
@@ -130,7 +130,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, visible: bool = False) -> tuple[
     return start + base, end + base, row, h
 
 
-# --------------------------------------------------------------- ranks and prefix sums
+# == ranks and prefix sums
 
 def prefix_sums(df: DataFrame, key: str, order: list[str], value: str | None = None,
                 rank_name: str = "rank", sum_name: str = "before", parts: int | None = None) -> DataFrame:

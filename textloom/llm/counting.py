@@ -195,8 +195,8 @@ _NUMBER = re.compile(r"[0-9]{13,}")
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits that take out mail addresses and card-like numbers: (start, end, replacement)."""
-    found = [(m.start(), m.end(), "<mail>") for m in _MAIL.finditer(text)] if "@" in text else []
-    found += [(m.start(), m.end(), "<number>") for m in _NUMBER.finditer(text) if m.end() - m.start() <= 16]
+    found = [(*m.span(), "<mail>") for m in _MAIL.finditer(text)] if "@" in text else []
+    found += [(*m.span(), "<number>") for m in _NUMBER.finditer(text) if len(m.group()) <= 16]
     out, reach = [], 0
     for a, b, put in sorted(found):
         if a >= reach:
