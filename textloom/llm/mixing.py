@@ -58,12 +58,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     summed = prefix_sums(rows, "__source", ["__id"], "__e", "__rank", "__before")
     passed = F.expr(f"(__before + __e + {offset}) div {SCALE} - (__before + {offset}) div {SCALE}")
     chosen = summed.select("__source", "__id", "__m", passed.alias("__c")).filter("__c > 0")
-    base = without(real, [copy_col]) if copy_col else real
-    out = base.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    twin = Window.partitionBy(id_col, source_col).orderBy(F.col(id_col), F.col(source_col))
+    # Keys without nulls: a plain equality, so that the join's partitioning serves the window as well.
+    keys = lambda i, s: {"__k1": F.coalesce(i.cast("string"), F.lit("")), "__k2": F.coalesce(s.cast("string"), F.lit("")),
+                         "__k3": F.when(i.isNull(), 1).otherwise(0) + F.when(s.isNull(), 2).otherwise(0)}
+    base = (without(real, [copy_col]) if copy_col else real).withColumns(keys(F.col(id_col), F.col(source_col)))
+    chosen = chosen.withColumns(keys(F.col("__id"), F.col("__source"))).select("__k1", "__k2", "__k3", "__m", "__c")
+    out = base.join(chosen, ["__k1", "__k2", "__k3"])
+    twin = Window.partitionBy("__k1", "__k2", "__k3").orderBy("__k1", "__k2", "__k3")
     out = out.withColumn("__r", F.row_number().over(twin)).withColumn("__c", F.expr("(__c + __m - __r) div __m")).filter("__c > 0")
     out = out.withColumn(copy_col or "__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c"))))
-    return out.drop("__source", "__id", "__m", "__c", "__r", "__copy")
+    return out.drop("__k1", "__k2", "__k3", "__m", "__c", "__r", "__copy")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
