@@ -232,6 +232,32 @@ def test_simhash_groups_equal_brute_force(spark, odd, empty):
     assert simhash.groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def drifted(seed, n, share):
+    """(id, text) of n copies of one text, each with its own changes, ids shuffled."""
+    rng = random.Random(seed)
+    base = [f"word{rng.randrange(10**6)}x" for _ in range(300)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(len(w)), int(share * len(w))):
+            w[k] = f"other{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    return list(enumerate(texts))
+
+
+def test_simhash_compares_linked_documents_further(spark):
+    docs = drifted(21, 400, 0.10) + [(1000, drifted(21, 1, 0)[0][1])]  # the original has the largest id
+    offsets, raw = buffers(pa.array([t for _, t in docs]))
+    keys, fp = simhash.pack(simhash.fingerprints(raw, offsets))
+    near = np.unpackbits(fp.view(np.uint8), axis=1).astype(np.int32)
+    far = (near[:, None] != near[None]).sum(2)
+    edges = [(docs[a][0], docs[b][0]) for a in range(len(docs)) for b in range(a)
+             if far[a, b] <= simhash.MAX_DISTANCE and (keys[a] == keys[b]).any()]
+    want = {(r.id, r.keep) for r in connect(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(want) > 300
+    assert {(r.id, r.keep) for r in simhash.groups(table(spark, [(i, t, "s") for i, t in docs])).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (7, 7)]

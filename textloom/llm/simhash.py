@@ -25,6 +25,9 @@ VERIFY_BITS, MAX_DISTANCE = 512, 92
 #: Words of fewer bytes are mostly function words, which all texts of a language share.
 MIN_WORD_BYTES = 4
 SKETCH = 1024
+#: Rounds of stars end where the blocks have at most so many open pairs a row, or where a round
+#: left more than the share SLOW of them.
+FEW_PAIRS, SLOW = 4, 0.8
 
 _plane: list[np.ndarray] = []
 
@@ -119,14 +122,26 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         .select("a", "b"))
 
 
+def _crossing(shared: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows (k, id, c) of the blocks whose members aren't all of one component c, how many they
+    are, and how many pairs of two components those blocks have."""
+    of = shared.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts"))
+    of = of.filter("parts > 1")
+    left = materialize(shared.join(of.select("k"), "k", "left_semi"), "blocks")
+    rows, pairs = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
+    return left, int(rows), int(pairs)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep): every document that isn't the first of its group of near-duplicates, and
     the smallest id of that group, which stays.
 
     Groups are the connected components of the pairs within MAX_DISTANCE of VERIFY_BITS that
-    share a block. Three steps keep hot groups linear: documents of one fingerprint are one
-    node; in each block every node is compared with the block's smallest one, and what that
-    links to a smaller one goes no further; only the remaining nodes are compared pairwise.
+    share a block. Documents of one fingerprint are one node. While the blocks have many pairs
+    of nodes that aren't known to be connected, one node of each block, another one each round,
+    is compared with the block's nodes of other components, which keeps hot groups linear. In
+    the end every pair that shares a block and isn't in one component yet is compared.
     Rows without id or text belong to no group; repeated rows with one id are one document.
     """
     prints = materialize(fingerprint(docs, id_col, text_col), "simhash")
@@ -137,15 +152,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = prints.join(exact.select("id"), "id", "left_anti")
     blocks = nodes.select("id", F.explode("__keys").alias("k"))
     block = Window.partitionBy("k")
-    shared = blocks.withColumn("m", F.min("id").over(block)).withColumn("n", F.count(F.lit(1)).over(block)).filter("n > 1")
-    shared = materialize(shared.select("k", "id", "m"), "blocks")
-    star = _verified(shared.filter("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct(), prints)
-    star = materialize(star, "stars")
-    left = shared.select("k", "id").join(star.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    pairs = (left.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "k")
-             .filter("a < b").select("a", "b").distinct())
-    same_print = exact.select(F.col("keep").alias("a"), F.col("id").alias("b"))
-    return connect(same_print.unionByName(star).unionByName(_verified(pairs, prints)))
+    shared = blocks.withColumn("n", F.count(F.lit(1)).over(block)).filter("n > 1")
+    shared = materialize(shared.select("k", "id", F.col("id").alias("c")).distinct(), "blocks")
+    edges = exact.select(F.col("keep").alias("a"), F.col("id").alias("b"))
+    turn, before = 0, None
+    while True:
+        shared, rows, pairs = _crossing(shared)
+        if pairs <= FEW_PAIRS * rows or (before is not None and pairs > SLOW * before):
+            break
+        before = pairs
+        hub = F.min_by(F.struct("id", "c"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), "id")).over(block)
+        star = (shared.withColumn("m", hub).filter("m.c <> c")
+                .select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b")).distinct())
+        edges = materialize(edges.unionByName(_verified(star, prints)), "stars")
+        part = connect(edges)
+        shared = (shared.select("k", "id").join(part, "id", "left")
+                  .select("k", "id", F.coalesce("keep", "id").alias("c")))
+        turn += 1
+    pairs = (shared.select("k", F.col("id").alias("a"), F.col("c").alias("ca"))
+             .join(shared.select("k", F.col("id").alias("b"), F.col("c").alias("cb")), "k")
+             .filter("a < b AND ca <> cb").select("a", "b").distinct())
+    return connect(edges.unionByName(_verified(pairs, prints)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
