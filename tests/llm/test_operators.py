@@ -258,6 +258,17 @@ def test_simhash_compares_linked_documents_further(spark):
     assert {(r.id, r.keep) for r in simhash.groups(table(spark, [(i, t, "s") for i, t in docs])).collect()} == want
 
 
+def test_simhash_blocks_hold_at_the_threshold():
+    rng = np.random.default_rng(22)
+    n = simhash.BLOCKS * simhash.BLOCK_BITS
+    a = rng.random((2000, n)) < 0.5
+    b = a ^ (rng.random((2000, n)) < simhash.MAX_DISTANCE / simhash.VERIFY_BITS)
+    for x, y in zip(a, b):  # exactly MAX_DISTANCE of the verified bits differ
+        y[: simhash.VERIFY_BITS] = x[: simhash.VERIFY_BITS]
+        y[rng.choice(simhash.VERIFY_BITS, simhash.MAX_DISTANCE, replace=False)] ^= True
+    assert (simhash.pack(a)[0] == simhash.pack(b)[0]).any(1).mean() >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (7, 7)]

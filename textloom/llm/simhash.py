@@ -1,9 +1,11 @@
 """SimHash near-duplicates (operator 5).
 
 The fingerprint is the sign pattern of random hyperplanes on the set of a document's
-words. It is split into ``BLOCKS`` blocks of ``BLOCK_BITS`` bits. Any two fingerprints
-that differ in fewer bits than there are blocks agree on one block at least (pigeonhole);
-pairs up to the threshold share one with high probability, as the blocks are many.
+words. Its bits are put into ``TABLES`` orders, each split into ``BLOCKS`` blocks of
+``BLOCK_BITS`` bits. Any two fingerprints that differ in fewer bits than there are blocks agree
+on one block of each order at least (pigeonhole). A pair at the threshold, which differs in
+18 % of its bits, shares a given block with probability 0.82 ** 24 = 0.0085 and one of all
+TABLES * BLOCKS with more than 0.9.
 Documents meet in a join on blocks and are then verified by Hamming distance.
 """
 
@@ -20,6 +22,8 @@ from textloom.llm.common import buffers, materialize, mix, slices, words
 from textloom.llm.components import connect
 
 BLOCKS, BLOCK_BITS = 64, 24
+#: Orders of the bits that are split into blocks; the first is the bits' own.
+TABLES = 5
 #: Bits that verification compares, and the most that may differ.
 VERIFY_BITS, MAX_DISTANCE = 512, 92
 #: Words of fewer bytes are mostly function words, which all texts of a language share.
@@ -70,17 +74,31 @@ def hash_bytes(b: bytes) -> int:
 
 
 def pack(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys (rows x BLOCKS, int32: block number, then its bits) and the first
+    """Block keys (rows x TABLES*BLOCKS, int64: block number, then its bits) and the first
     VERIFY_BITS as int64 words."""
+    return block_keys(bits), np.packbits(bits[:, :VERIFY_BITS], axis=1).view(np.int64)
+
+
+def _orders() -> np.ndarray:
+    rng = np.random.default_rng(20240522)
+    n = BLOCKS * BLOCK_BITS
+    return np.concatenate([np.arange(n), *[rng.permutation(n) for _ in range(TABLES - 1)]])
+
+
+_ORDERS = _orders()
+
+
+def block_keys(bits: np.ndarray) -> np.ndarray:
     n = len(bits)
-    b = np.packbits(bits.reshape(n, BLOCKS, BLOCK_BITS), axis=2).astype(np.int32)
-    keys = np.arange(BLOCKS, dtype=np.int32)[None] << BLOCK_BITS
+    b = np.packbits(bits[:, _ORDERS].reshape(n, TABLES * BLOCKS, BLOCK_BITS), axis=2).astype(np.int64)
+    keys = np.arange(TABLES * BLOCKS, dtype=np.int64)[None] << BLOCK_BITS
     for k in range(b.shape[2]):
         keys = keys | b[:, :, k] << 8 * k
-    return keys, np.packbits(bits[:, :VERIFY_BITS], axis=1).view(np.int64)
+    return keys
 
 
 WORDS = [f"__f{i}" for i in range(VERIFY_BITS // 64)]
+BITS_BYTES = BLOCKS * BLOCK_BITS // 8
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,20 +107,35 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(offsets):
             for c in range(a, b, 512):
                 d = min(b, c + 512)
-                keys, fp = pack(fingerprints(raw, offsets[c : d + 1]))
+                bits = np.packbits(fingerprints(raw, offsets[c : d + 1]), axis=1)
+                fp = np.ascontiguousarray(bits[:, : VERIFY_BITS // 8]).view(np.int64)
+                ends = pa.py_buffer(np.arange(d - c + 1, dtype=np.int32) * BITS_BYTES)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c, d - c),
-                     pa.ListArray.from_arrays(pa.array(np.arange(d - c + 1) * BLOCKS, pa.int32()), pa.array(keys.ravel())),
+                     pa.Array.from_buffers(pa.binary(), d - c, [None, ends, pa.py_buffer(bits)]),
                      *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(fp.shape[1])]],
-                    ["id", "__keys", *WORDS])
+                    ["id", "__bits", *WORDS])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, raw = buffers(batch.column(1))
+        for c in range(0, batch.num_rows, 512):
+            d = min(batch.num_rows, c + 512)
+            bits = np.unpackbits(raw[offsets[c] : offsets[d]].reshape(d - c, BITS_BYTES), axis=1)
+            keys = block_keys(bits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(c, d - c),
+                 pa.ListArray.from_arrays(pa.array(np.arange(d - c + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))],
+                ["id", "__keys"])
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __keys, __f0...) of every row with an id and a text that isn't empty."""
+    """(id, __bits, __f0...) of every row with an id and a text that isn't empty."""
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     kept = kept.filter("id IS NOT NULL AND length(text) > 0")
     fields = ", ".join(f"{w} bigint" for w in WORDS)
-    return kept.mapInArrow(_prints, f"id bigint, __keys array<int>, {fields}")
+    return kept.mapInArrow(_prints, f"id bigint, __bits binary, {fields}")
 
 
 def _distance(a: str, b: str):
@@ -122,13 +155,14 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         .select("a", "b"))
 
 
-def _crossing(shared: DataFrame) -> tuple[DataFrame, int, int]:
+def _open(shared: DataFrame) -> tuple[DataFrame, int, int]:
     """Rows (k, id, c) of the blocks whose members aren't all of one component c, how many they
     are, and how many pairs of two components those blocks have."""
-    of = shared.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
-    of = of.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts"))
-    of = of.filter("parts > 1")
-    left = materialize(shared.join(of.select("k"), "k", "left_semi"), "blocks")
+    block = Window.partitionBy("k")
+    left = shared.withColumn("__lo", F.min("c").over(block)).withColumn("__hi", F.max("c").over(block))
+    left = materialize(left.filter("__lo <> __hi").select("k", "id", "c"), "blocks")
+    of = left.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
     rows, pairs = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
     return left, int(rows), int(pairs)
 
@@ -138,10 +172,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the smallest id of that group, which stays.
 
     Groups are the connected components of the pairs within MAX_DISTANCE of VERIFY_BITS that
-    share a block. Documents of one fingerprint are one node. While the blocks have many pairs
-    of nodes that aren't known to be connected, one node of each block, another one each round,
-    is compared with the block's nodes of other components, which keeps hot groups linear. In
-    the end every pair that shares a block and isn't in one component yet is compared.
+    share a block. Documents of one fingerprint are one node. Each block's smallest node is
+    compared with its others and, while the blocks have many pairs of nodes that aren't known to
+    be connected, another one each round with those of other components, which keeps hot groups
+    linear. In the end every pair that shares a block and isn't in one component yet is compared.
     Rows without id or text belong to no group; repeated rows with one id are one document.
     """
     prints = materialize(fingerprint(docs, id_col, text_col), "simhash")
@@ -150,25 +184,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
              .filter("id <> keep").select("id", "keep").distinct())
     exact = materialize(exact, "exact")
     nodes = prints.join(exact.select("id"), "id", "left_anti")
-    blocks = nodes.select("id", F.explode("__keys").alias("k"))
+    keys = nodes.select("id", "__bits").mapInArrow(_blocks, "id bigint, __keys array<bigint>")
+    blocks = keys.select("id", F.explode("__keys").alias("k"))
     block = Window.partitionBy("k")
-    shared = blocks.withColumn("n", F.count(F.lit(1)).over(block)).filter("n > 1")
-    shared = materialize(shared.select("k", "id", F.col("id").alias("c")).distinct(), "blocks")
+    shared = blocks.withColumn("m", F.min("id").over(block)).withColumn("n", F.count(F.lit(1)).over(block)).filter("n > 1")
+    shared = materialize(shared.select("k", "id", "m", "n"), "blocks")
     edges = exact.select(F.col("keep").alias("a"), F.col("id").alias("b"))
+    star = shared.filter("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
+    shared = shared.filter("n > 2")  # the only pair of a block of two is in the star
     turn, before = 0, None
     while True:
-        shared, rows, pairs = _crossing(shared)
-        if pairs <= FEW_PAIRS * rows or (before is not None and pairs > SLOW * before):
-            break
-        before = pairs
-        hub = F.min_by(F.struct("id", "c"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), "id")).over(block)
-        star = (shared.withColumn("m", hub).filter("m.c <> c")
-                .select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b")).distinct())
         edges = materialize(edges.unionByName(_verified(star, prints)), "stars")
         part = connect(edges)
         shared = (shared.select("k", "id").join(part, "id", "left")
                   .select("k", "id", F.coalesce("keep", "id").alias("c")))
-        turn += 1
+        shared, rows, pairs = _open(shared)
+        if pairs <= FEW_PAIRS * rows or (before is not None and pairs > SLOW * before):
+            break
+        turn, before = turn + 1, pairs
+        hub = F.min_by(F.struct("id", "c"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).over(block)
+        star = (shared.withColumn("m", hub).filter("m.c <> c")
+                .select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b")).distinct())
     pairs = (shared.select("k", F.col("id").alias("a"), F.col("c").alias("ca"))
              .join(shared.select("k", F.col("id").alias("b"), F.col("c").alias("cb")), "k")
              .filter("a < b AND ca <> cb").select("a", "b").distinct())
