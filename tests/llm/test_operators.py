@@ -352,6 +352,20 @@ def test_repeats_cover_what_brute_force_finds(spark, odd, empty):
     assert Counter((r.doc_id, r.text) for r in substring.cut_repeats(odd).collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
 
 
+def test_repeats_around_a_widespread_sentence(spark):
+    rng = random.Random(31)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs, want = [], set()
+    for k in range(24):
+        sentence = fresh((20, 30, 40)[k % 3])
+        passage, n = f"{fresh(7)} {sentence} {fresh(48 - len(sentence.split()))}", (4, 20)[k % 2]
+        around = [f"{fresh(80)} {x} {fresh(80)}" for x in [*[sentence] * n, passage, *[sentence] * n, passage]]
+        want.add((len(docs) + 2 * n + 1, len(docs) + n))
+        docs += around
+    got = {(r.doc_id, r.first_doc_id) for r in substring.repeats(table(spark, [(i, t, "s") for i, t in enumerate(docs)])).collect()}
+    assert got == want
+
+
 # 7: quality
 
 def test_quality_rules_on_odd_rows(spark, odd, empty):
