@@ -366,6 +366,28 @@ def test_repeats_around_a_widespread_sentence(spark):
     assert got == want
 
 
+def test_repeats_find_edited_passages(spark):
+    rng = random.Random(32)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], {k: set() for k in range(4)}
+    hashes = lambda t: words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[3]
+    for k in range(240):
+        p, edit = fresh((50, 60)[k // 4 % 2]), k % 4
+        q = list(p)
+        if edit == 3:
+            q[20:20] = fresh(1)  # a word put in
+        else:
+            for x in rng.sample(range(len(q)), edit + 1):
+                q[x] = fresh(1)[0]
+        docs += [" ".join(fresh(40) + x + fresh(40)) for x in (p, q)]
+        a, b = hashes(docs[-2]), hashes(docs[-1])
+        if substring.passages(a, b, [(d, 0, len(b)) for d in range(-len(b), len(a))]):
+            want[edit].add((len(docs) - 1, len(docs) - 2))
+    got = {(r.doc_id, r.first_doc_id) for r in substring.repeats(table(spark, [(i, t, "s") for i, t in enumerate(docs)])).collect()}
+    for edit, pairs in want.items():
+        assert len(pairs) >= 10 and len(got & pairs) >= 0.9 * len(pairs), (edit, len(got & pairs), len(pairs))
+
+
 # 7: quality
 
 def test_quality_rules_on_odd_rows(spark, odd, empty):
