@@ -401,6 +401,11 @@ def test_quality_rules_on_odd_rows(spark, odd, empty):
     assert [r.doc_id for r in quality.keep(junk).collect()] == [5]
 
 
+def test_quality_has_no_longest_text(spark):
+    long = "\n".join(f"The words of a clean text are in order and it is as it was. {i}" for i in range(75_000))
+    assert [r.doc_id for r in quality.keep(table(spark, [(7, long, "s")])).select("doc_id").collect()] == [7]
+
+
 def test_quality_keeps_good_labelled_documents(spark, sf):
     kept = {r.doc_id for r in quality.op7_quality_rules(spark, sf).select("doc_id").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}

@@ -25,7 +25,7 @@ class Rule(NamedTuple):
 
 #: Limits hold for texts of a length at which the measure means something.
 THRESHOLDS = (
-    Rule("n_words", 1, 1_000_000),
+    Rule("n_words", 1, None),
     Rule("mean_word_chars", 2.0, 14.0, 5),
     Rule("symbol_ratio", None, 0.10, 5),
     Rule("upper_ratio", None, 0.60, 5),
