@@ -411,12 +411,14 @@ def phrase_match(spark, sf):
 @query(f"""SELECT d.doc_id, min(b.item_id) AS item_id, count(*) AS n FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents) d
 JOIN (SELECT item_id, {fold_sql('text')} AS g FROM benchmark) b ON contains(t, g) GROUP BY d.doc_id""")
 def benchmark_containment(spark, sf):
-    """Documents that contain a whole benchmark item, found through a join on words of its beginning."""
-    b = table(spark, sf, "benchmark").select("item_id", T.fold(F.col("text")).alias("g"), F.array_join(F.slice(T.terms(F.col("text")), 2, 3), " ").alias("k"))
+    """Documents that contain a whole benchmark item, found through a join on words of its beginning.
+    Items of fewer than five words have no three words with others around them; they meet all documents."""
+    b = table(spark, sf, "benchmark").select("item_id", T.fold(F.col("text")).alias("g"), F.array_join(F.slice(T.terms(F.col("text")), 2, 3), " ").alias("k"), F.size(T.terms(F.col("text"))).alias("n_terms"))
     d = table(spark, sf, "documents").select("doc_id", T.fold(F.col("text")).alias("t"))
     w = d.select("doc_id", F.regexp_extract_all("t", F.lit(T.WORD), F.lit(0)).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    pairs = w.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(b, "k").join(d, "doc_id").filter(F.col("t").contains(F.col("g")))
+    pairs = w.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(b.filter("n_terms >= 5"), "k").join(d, "doc_id").filter(F.col("t").contains(F.col("g"))).select("doc_id", "item_id")
+    pairs = pairs.unionByName(d.join(b.filter("n_terms < 5"), F.col("t").contains(F.col("g"))).select("doc_id", "item_id"))
     return pairs.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
 
 
