@@ -29,12 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
+def materialize(df: DataFrame, what: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back. The copy doesn't
     depend on any executor, so a lost one costs no recomputation of the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
