@@ -248,8 +248,8 @@ def drifted(seed, n, share):
 def test_simhash_compares_linked_documents_further(spark):
     docs = drifted(21, 400, 0.10) + [(1000, drifted(21, 1, 0)[0][1])]  # the original has the largest id
     offsets, raw = buffers(pa.array([t for _, t in docs]))
-    keys, fp = simhash.pack(simhash.fingerprints(raw, offsets))
-    near = np.unpackbits(fp.view(np.uint8), axis=1).astype(np.int32)
+    bits = simhash.fingerprints(raw, offsets)
+    keys, near = simhash.block_values(bits), bits[:, : simhash.VERIFY_BITS]
     far = (near[:, None] != near[None]).sum(2)
     edges = [(docs[a][0], docs[b][0]) for a in range(len(docs)) for b in range(a)
              if far[a, b] <= simhash.MAX_DISTANCE and (keys[a] == keys[b]).any()]
@@ -266,7 +266,7 @@ def test_simhash_blocks_hold_at_the_threshold():
     for x, y in zip(a, b):  # exactly MAX_DISTANCE of the verified bits differ
         y[: simhash.VERIFY_BITS] = x[: simhash.VERIFY_BITS]
         y[rng.choice(simhash.VERIFY_BITS, simhash.MAX_DISTANCE, replace=False)] ^= True
-    assert (simhash.pack(a)[0] == simhash.pack(b)[0]).any(1).mean() >= 0.9
+    assert (simhash.block_values(a) == simhash.block_values(b)).any(1).mean() >= 0.9
 
 
 def test_components(spark):
