@@ -72,6 +72,21 @@ def test_token_counts_of_odd_rows(spark, odd, empty):
     after = {r.doc_id: r.n_tokens_after for r in counting.edit_counts(edits, "edits").collect()}
     count = counting.tokenizer().count
     assert after == {1: count("one TWO three!"), 2: count("same"), 3: 0}
+    mixed = spark.createDataFrame([(1, "one two three", [(0, 3, "x"), (2, 7, "lost"), (None, 3, "y"), (8, None, "z"), None])], "doc_id long, text string, edits array<struct<start:int,end:int,put:string>>")
+    r = counting.edit_counts(mixed, "edits").first()
+    assert (r.n_edits, r.n_tokens_after) == (1, count("x two three"))
+
+
+def test_edits_go_on_from_stored_leaves(spark):
+    text = prose(random.Random(4), 5000)
+    docs = spark.createDataFrame([(1, text, [(100, 103, "abc")]), (2, None, None), (3, "", None)], "doc_id long, text string, edits array<struct<start:int,end:int,put:string>>")
+    first = counting.edit_counts(docs, "edits")
+    again = docs.drop("text").join(first, "doc_id").selectExpr("doc_id", f"CASE doc_id WHEN 1 THEN '{text[:100] + 'abc' + text[103:]}' WHEN 3 THEN '' END AS text",
+                                                               "array(named_struct('start', 20000, 'end', 20002, 'put', 'q')) AS edits", "leaf_chars", "leaf_tokens")
+    got = {r.doc_id: r for r in counting.edit_counts(again, "edits", leaves=("leaf_chars", "leaf_tokens")).collect()}
+    new = text[:100] + "abc" + text[103:]
+    new = new[:20000] + "q" + new[20002:]
+    assert got[1].n_tokens_after == counting.tokenizer().count(new) and got[2].n_tokens is None and got[3].n_tokens == 0
 
 
 def test_token_counts_of_all_documents(spark, sf):
@@ -421,7 +436,7 @@ def test_warc_round_trip(spark, sf, tmp_path):
     both = pages.select("page_id", "url", "html").unionByName(odd_pages)
     index = warc.write_bundles(both, f"file://{tmp_path}", frame_bytes=20000, bundle_bytes=50000)
     assert index.count() == both.count()
-    clean = lambda r: (r.page_id, (r.url or "").replace("\r", "").replace("\n", ""), r.html or "")
+    clean = lambda r: (r.page_id, None if r.url is None else r.url.replace("\r", "").replace("\n", ""), r.html)
     assert Counter(map(clean, warc.fetch(index, f"file://{tmp_path}").collect())) == Counter(map(clean, both.collect()))
     import io
 
@@ -437,6 +452,12 @@ def test_warc_round_trip(spark, sf, tmp_path):
             whole = f.read()
         sizes = struct.unpack(f"<{2 * len(own)}I", data[-9 - 8 * len(own) : -9])[1::2]
         assert len(whole) == sum(sizes) and whole.startswith(b"WARC/1.1")
+        while whole:  # record by record, as the format says
+            fields, body = warc.parse(whole)
+            head = whole.index(b"\r\n\r\n") + 4
+            assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(fields) and fields["WARC-Type"] == "resource"
+            assert whole[head + len(body) : head + len(body) + 4] == b"\r\n\r\n"
+            whole = whole[head + len(body) + 4 :]
     assert warc.write_bundles(both.limit(0), f"file://{tmp_path}/none").count() == 0
 
 

@@ -130,6 +130,14 @@ class SegmentTree:
         self.n = len(tokens)
         self.encoded = 0
 
+    @classmethod
+    def restore(cls, tok: Tokenizer, text: str, chars: list[int], tokens: list[int]) -> SegmentTree:
+        """The tree of stored leaves, without encoding the text."""
+        tree = cls.__new__(cls)
+        tree.tok, tree.text, tree.n, tree.encoded = tok, text, len(tokens), 0
+        tree.ends, tree.tree = np.cumsum(np.array(chars, np.int64)).tolist(), tree_of(list(tokens))
+        return tree
+
     @property
     def total(self) -> int:
         return self.tree[1]
@@ -194,14 +202,19 @@ _NUMBER = re.compile(r"[0-9]{13,}")
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
-    """Edits that take out mail addresses and card-like numbers: (start, end, replacement)."""
+    """Edits that take out mail addresses and card-like numbers: (start, end, replacement). A card has 13 to 16
+    digits, so longer runs of digits aren't one; parts of an address have up to 64 characters, as the mail standard says."""
     found = [(*m.span(), "<mail>") for m in _MAIL.finditer(text)] if "@" in text else []
-    found += [(*m.span(), "<number>") for m in _NUMBER.finditer(text) if len(m.group()) <= 16]
+    return apart(found + [(*m.span(), "<number>") for m in _NUMBER.finditer(text) if len(m.group()) <= 16])
+
+
+def apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """In order, without those that begin before an earlier one ends."""
     out, reach = [], 0
-    for a, b, put in sorted(found):
+    for a, b, put in sorted(edits):
         if a >= reach:
-            out.append((a, b, put))
-            reach = b
+            reach = max(a, b)
+            out.append((a, reach, put))
     return out
 
 
@@ -210,20 +223,27 @@ OUT = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
 
 def edit_counts(docs: DataFrame, edits: str | Callable[[str], list] = redactions, id_col: str = "doc_id",
-                text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+                text_col: str = "text", vocabulary: str = VOCABULARY, leaves: tuple[str, str] | None = None) -> DataFrame:
     """(id, n_tokens, n_edits, n_tokens_after, n_encoded, leaf_chars, leaf_tokens) of every row.
 
     ``edits`` is a function of the text or the name of a column of structs (start, end, put),
-    character positions in the given text that don't overlap; they are applied from the last to
-    the first. ``n_encoded`` is the number of characters encoded again for them; the leaves
+    character positions in the given text; they are applied from the last to the first. Of edits that overlap, the one
+    that begins first counts, and the others are left out; so are null edits and those with a null position. ``leaves`` names
+    columns of the leaves (characters, tokens) that an earlier call returned for this very text, which then isn't
+    encoded again; rows where they are null are encoded. ``n_encoded`` is the number of characters encoded again for them; the leaves
     are those of the edited text, so that later edits can go on from them. A null text has null
     counts and no edits; an empty one has 0 tokens and no leaf. Positions outside the text are
-    cut to it, a null ``put`` deletes. Repeated rows are counted each for itself.
+    cut to it, a null ``put`` deletes. Repeated rows are counted each for itself. An empty table has no rows; other
+    columns are dropped; an id column named like one of the output isn't possible (ValueError). Texts of any length are whole.
     """
+    if id_col in OUT:
+        raise ValueError(f"the id column can't be called {id_col}")
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
     if isinstance(edits, str):
         cols.append(F.col(edits).alias("edits"))
+    if leaves:
+        cols += [F.col(leaves[0]).cast("array<int>").alias("chars"), F.col(leaves[1]).cast("array<int>").alias("tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
@@ -231,20 +251,23 @@ def edit_counts(docs: DataFrame, edits: str | Callable[[str], list] = redactions
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 given = part.column(2).to_pylist() if isinstance(edits, str) else None
+                stored = list(zip(*(part.column(part.num_columns - k).to_pylist() for k in (2, 1)))) if leaves else None
                 rows: list[list] = [[] for _ in OUT]
                 for i, text in enumerate(part.column(1).to_pylist()):
                     if text is None:
                         values = (None, 0, None, 0, None, None)
                     else:
-                        tree = SegmentTree(tok, text)
+                        known = stored is not None and None not in stored[i]
+                        tree = SegmentTree.restore(tok, text, *stored[i]) if known else SegmentTree(tok, text)
                         before = tree.total
                         if given is None:
                             todo = edits(text)
                         else:
                             todo = [(min(max(e["start"], 0), len(text)), min(max(e["end"], 0), len(text)), e["put"] or "")
-                                    for e in given[i] or [] if e is not None]
-                        for s, e, put in sorted(todo, reverse=True):
-                            tree.edit(s, max(s, e), put)
+                                    for e in given[i] or [] if e is not None and e["start"] is not None and e["end"] is not None]
+                        todo = apart(todo)
+                        for s, e, put in reversed(todo):
+                            tree.edit(s, e, put)
                         values = (before, len(todo), tree.total, tree.encoded, np.diff(tree.ends, prepend=0).astype(np.int32), tree.tokens)
                     for r, v in zip(rows, values):
                         r.append(v)

@@ -28,9 +28,10 @@ def epsilon(cosine: float) -> float:
 
 def _unit(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable rows of an Arrow list column, and which rows these are."""
-    rows = [r if r is not None and len(r) == dim and None not in r else None for r in column.to_pylist()]
-    ok = np.array([r is not None for r in rows], bool)
-    x = np.array([r for r in rows if r is not None], np.float64).reshape(-1, dim)
+    sizes = np.diff(column.offsets.to_numpy().astype(np.int64))
+    ok = (sizes == dim) & column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
+    x = flat.reshape(-1, dim)
     with np.errstate(all="ignore"):
         norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
@@ -109,8 +110,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(id, first_id): every vector that has one with a smaller id within ``cosine``, and the
     smallest such id. What isn't listed can be kept without a near-duplicate of it before it.
 
+    Equal vectors are one in the join, that of the smallest id, so that many copies of one don't meet each other.
     Rows without an id, and vectors that are null, zero, not finite, or of another length than
-    the first usable row's, are left out. Rows that repeat an id aren't duplicates of each other.
+    the commonest one (of equally common ones the shortest), are left out. Rows that repeat an id aren't duplicates of each other.
+    A pair at the threshold counts as near, within the error of double precision. An empty table has no
+    rows; other columns are ignored; ids are cast to bigint.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND size(v) > 0")
@@ -118,6 +122,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     if head is None:
         return spark.createDataFrame([], "id bigint, first_id bigint")
     dim = int(head["n"])
+    usable = usable.withColumn("h", F.xxhash64("v"))
+    same = materialize(usable.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "same")
+    copies = materialize(usable.join(same, "h").filter("id <> rep").select("id", "h", "rep").distinct(), "copies")
+    usable = usable.join(copies.select("id", "h"), ["id", "h"], "left_anti").select("id", "v")
     mean, axes, n = principal_axes(usable, dim, "v")
     eps = epsilon(cosine)
     k = axes.shape[1]
@@ -163,7 +171,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 best = join_blocks(*unpack(batch.column(0), i), *unpack(batch.column(1), i), cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], ["id", "first_id"])
 
-    return tasks.mapInArrow(joined, "id bigint, first_id bigint").groupBy("id").agg(F.min("first_id").alias("first_id"))
+    found = materialize(tasks.mapInArrow(joined, "id bigint, first_id bigint").groupBy("id").agg(F.min("first_id").alias("first_id")), "near")
+    again = copies.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("first_id", "rep").alias("first_id"))
+    return found.unionByName(again).groupBy("id").agg(F.min("first_id").alias("first_id"))
 
 
 def op9_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

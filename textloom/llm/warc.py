@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +27,16 @@ INDEX = ("page_id bigint, bundle string, frame int, frame_offset bigint, frame_b
          "record_offset bigint, record_bytes bigint")
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """A WARC response record; nulls are written as empty values."""
+def record(page_id: int | None, url: str | None, html: str | None, date: str = "1970-01-01T00:00:00Z", unique: str = "") -> bytes:
+    """A WARC/1.1 resource record. What is null is named in an extension field, as the target URI
+    is mandatory; a null id is replaced by one made of ``unique``."""
     body = (html or "").encode()
-    uri = "".join(c for c in url or "" if c not in "\r\n")
-    head = (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>\r\n"
-            f"WARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n")
+    uri = "".join(c for c in url or "" if c not in "\r\n") or "urn:none"
+    nulls = ",".join(n for n, v in (("id", page_id), ("url", url), ("html", html)) if v is None)
+    name = f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, unique)}"
+    head = (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: {date}\r\n"
+            f"WARC-Target-URI: {uri}\r\n" + (f"X-Null: {nulls}\r\n" if nulls else "") + ("X-Empty: url\r\n" if url == "" else "")
+            + f"Content-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n")
     return head.encode() + body + b"\r\n\r\n"
 
 
@@ -94,18 +99,21 @@ class _Bundle:
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+                  frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None) -> DataFrame:
     """Write all rows as bundles into ``folder`` (a URI that all executors reach) and return the
     index, which is written there too.
 
     Each task writes its own partition's bundles, without a shuffle; a bundle's name holds the
     task attempt, so that a repeated or speculative task never touches the files that the
-    index of another attempt names. Null ids, URLs and contents make records with empty values;
+    index of another attempt names. ``date`` is the records' WARC-Date, by default the time of the call. Null ids, URLs and
+    contents are marked in their records and read again as nulls (line breaks of URLs are lost); ids are
+    cast to bigint, where one that isn't a number fails in ANSI mode and is null else; other columns are ignored;
     repeated rows make a record each; a record longer than a frame is a frame of its own; an
     empty table makes no bundle and an empty index.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     names = [x.split()[0] for x in INDEX.split(", ")]
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     files, path = _filesystem(folder)
     files.create_dir(path)
 
@@ -134,7 +142,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 for i, url, html in zip(*(c.to_pylist() for c in part.columns)):
-                    data = record(i, url, html)
+                    data = record(i, url, html, date, f"{tag}/{made}/{0 if bundle is None else len(bundle.frames)}/{len(inside)}")
                     inside.append((i, size, len(data)))
                     buffer.append(data)
                     size += len(data)
@@ -167,7 +175,9 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
                         frame = zstandard.ZstdDecompressor().decompress(f.read(r["frame_bytes"]))
                     last = key
                 fields, body = parse(frame[r["record_offset"] : r["record_offset"] + r["record_bytes"]])
-                out.append((r["page_id"], fields["WARC-Target-URI"], body.decode()))
+                null = fields.get("X-Null", "").split(",")
+                url = None if "url" in null else "" if "X-Empty" in fields else fields["WARC-Target-URI"]
+                out.append((r["page_id"], url, None if "html" in null else body.decode()))
             cols = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "html"])
 
