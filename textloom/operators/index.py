@@ -1,6 +1,6 @@
 """The inverted index as tables, its snapshots, and appends.
 
-``postings(term, cid, tf)``, ``doclen(cid, dl)`` and ``chunks`` are stored; document frequencies, N and
+``postings(term, cid, tf, dl)``, ``doclen(cid, dl)`` and ``chunks`` are stored; document frequencies, N and
 the average length are aggregated from them, so that an append needs no rewrite. A chunk
 without a token has a row in ``doclen`` and counts in N and the average.
 """
@@ -11,10 +11,11 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.storage import materialize
 
 
 @dataclass
@@ -50,10 +51,28 @@ class Index:
 
 
 def build(chunks: DataFrame, verified: DataFrame | None = None) -> Index:
-    """Index ``chunks`` (cid, text, ... )."""
-    tokens = chunks.select("cid", T.terms(F.col("text")).alias("t"))
-    postings = tokens.select("cid", F.explode("t").alias("term")).groupBy("term", "cid").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(chunks, postings, tokens.select("cid", F.size("t").alias("dl")), verified)
+    """Index ``chunks`` (cid, text, ... ). Their terms are counted once and written."""
+    return of_bags(chunks, materialize(bags(chunks), "bags"), verified)
+
+
+def bags(chunks: DataFrame) -> DataFrame:
+    """(cid, dl, b): how often each chunk has each of its terms. A chunk is one row, so that nothing
+    is shuffled: equal terms are neighbours in the sorted array."""
+    terms = F.sort_array(F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")))
+
+    def count(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        bag = T.let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).cast("bigint").alias("tf"))))
+        return F.struct(F.size(t).alias("dl"), bag.alias("b"))
+
+    return chunks.select("cid", T.let(terms, count).alias("x")).select("cid", "x.dl", "x.b")
+
+
+def of_bags(chunks: DataFrame, bags: DataFrame, verified: DataFrame | None = None) -> Index:
+    """An index over bags (cid, dl, b: array of (term, tf)), the form in which tokens are counted once."""
+    postings = bags.select("cid", "dl", F.explode("b").alias("x")).select(F.col("x.term").alias("term"), "cid", F.col("x.tf").alias("tf"), "dl")
+    return Index(chunks, postings, bags.select("cid", "dl"), verified)
 
 
 def save(index: Index, path: str) -> str:
@@ -83,4 +102,4 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> Index:
 def append(index: Index, chunks: DataFrame) -> Index:
     """The index with further chunks, whose ids have to be new."""
     new = build(chunks)
-    return Index(index.chunks.unionByName(chunks, allowMissingColumns=True), index.postings.unionByName(new.postings), index.doclen.unionByName(new.doclen), index.verified, dict(index.meta))
+    return Index(index.chunks.unionByName(chunks, allowMissingColumns=True), index.postings.unionByName(new.postings, allowMissingColumns=True), index.doclen.unionByName(new.doclen), index.verified, dict(index.meta))

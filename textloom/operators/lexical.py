@@ -36,7 +36,7 @@ def question_terms(questions: DataFrame, flavour: Flavour, qid: str = "qid", que
 
 def score(index: Index, questions: DataFrame, flavour: Flavour = BM25, qid: str = "qid", question: str = "question") -> DataFrame:
     """(qid, cid, score) of every chunk that has a term of the question. Text isn't touched; the
-    postings are read once for all questions, and frequencies only of the terms asked for."""
+    postings are read twice for all questions of the table: for their hits, and for the frequencies of the terms asked for."""
     asked = question_terms(questions, flavour, qid, question)
     hits = index.postings.join(asked, "term")
     wanted = asked.select("term").distinct()
@@ -46,7 +46,8 @@ def score(index: Index, questions: DataFrame, flavour: Flavour = BM25, qid: str
     idf = F.log(1 + ratio) if flavour.smooth else F.greatest(F.log(ratio), F.lit(FLOOR))
     norm = tf + flavour.k1 * (1 - flavour.b + flavour.b * dl / F.col("avgdl"))
     part = F.col("qf") * idf * tf * (flavour.k1 + 1) / norm if flavour.repeats else idf * tf * (flavour.k1 + 1) / norm
-    joined = hits.join(stats, "term").join(index.doclen, "cid").crossJoin(F.broadcast(index.corpus))
+    hits = hits if "dl" in index.postings.columns else hits.join(index.doclen, "cid")
+    joined = hits.join(stats, "term").crossJoin(F.broadcast(index.corpus))  # one row
     return joined.groupBy("qid", "cid").agg(F.round(F.sum(part), PLACES).alias("score")).filter("score > 0")
 
 

@@ -39,9 +39,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def built(spark: SparkSession, sf: str) -> index.Index:
     """The index with its tables written once, as several steps read them."""
-    c = materialize(chunks(spark, sf), "chunks")
-    x = index.build(c)
-    return index.Index(c, materialize(x.postings, "postings"), materialize(x.doclen, "doclen"))
+    return index.build(chunks(spark, sf))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,13 +231,13 @@ def cosine_topk(spark, sf):
 
 @query()
 def hash_dense_topk(spark, sf):
-    c = materialize(chunks(spark, sf), "chunks")
+    c = chunks(spark, sf)
     return dense.hash_search(c, questions(spark, sf), 5).select("qid", "cid", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def encoder_topk(spark, sf):
-    c = materialize(chunks(spark, sf), "chunks")
+    c = chunks(spark, sf)
     enc = dense.HashEncoder()
     q = dense.encode(questions(spark, sf), "qid", "question", enc, True).withColumnRenamed("vec", "qvec")
     return dense.vector_search(dense.encode(c, "cid", "text", enc), q, 5).select("qid", "cid", F.round("score", 6).alias("score"), "rank")
