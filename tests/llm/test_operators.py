@@ -403,6 +403,19 @@ def test_repeats_find_edited_passages(spark):
         assert len(pairs) >= 10 and len(got & pairs) >= 0.9 * len(pairs), (edit, len(got & pairs), len(pairs))
 
 
+def test_repeats_in_large_groups_lose_no_edited_passage(spark):
+    rng = random.Random(33)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], set()
+    for _ in range(20):
+        s, b = fresh(42), fresh(8)  # more than FEW texts have s, with other words around
+        around = [s] * (substring.FEW + 4) + [s + fresh(1) + b] + [s] * 4 + [s + fresh(1) + b]
+        docs += [fresh(60) + x + fresh(60) for x in around]
+        want.add((len(docs) - 1, len(docs) - 6))
+    got = {(r.doc_id, r.first_doc_id) for r in substring.repeats(table(spark, [(i, " ".join(t), "s") for i, t in enumerate(docs)])).collect()}
+    assert got == want
+
+
 # 7: quality
 
 def test_quality_rules_on_odd_rows(spark, odd, empty):
