@@ -260,6 +260,23 @@ def drifted(seed, n, share):
     return list(enumerate(texts))
 
 
+def test_simhash_shuffles_texts_once(spark):
+    rng = random.Random(34)
+    texts = [prose(rng, 80) for _ in range(6)]
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0]), (9, texts[1]), (None, texts[2]), (3, None), (4, ""), (4, "")]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.keep_one(table(spark, [(i, t, "s") for i, t in rows]))
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        parts = [p for p in plan.split("\n\n") if ") Exchange" in p and "text#" in p]
+        assert len(parts) == 1
+        want = [*enumerate(texts), (None, texts[2]), (3, None), (4, ""), (4, "")]
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_simhash_compares_linked_documents_further(spark):
     docs = drifted(21, 400, 0.10) + [(1000, drifted(21, 1, 0)[0][1])]  # the original has the largest id
     offsets, raw = buffers(pa.array([t for _, t in docs]))

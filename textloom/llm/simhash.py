@@ -352,13 +352,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = classes(docs, id_col, text_col)
     stay = (F.col("id") == F.col("keep")) & (F.col("hash") == F.col("keep_hash"))
     verdict = found.groupBy("id", "hash").agg(F.max(stay).alias("__stay"), F.count(F.lit(1)).alias("__rows")).filter("NOT __stay OR __rows > 1")
-    verdict = materialize(verdict.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "__stay"), "verdicts")
-    here = (F.col(id_col).cast("bigint") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    joined = docs.join(verdict, here, "left")
-    single = joined.filter("__stay IS NULL")
-    one = Window.partitionBy("__id", "__hash").orderBy("__stay")
-    repeated = joined.filter("__stay").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    return single.unionByName(repeated).drop("__id", "__hash", "__stay")
+    verdict = verdict.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "__stay")
+    text = F.col(text_col).cast("string")
+    whole = F.coalesce(F.col(id_col).cast("bigint").isNotNull() & (F.length(text) > 0), F.lit(False))
+    joined = docs.filter(whole).withColumns({"__id": F.col(id_col).cast("bigint"), "__hash": F.xxhash64(text)}).join(verdict, ["__id", "__hash"], "left")
+    # rows without a verdict are single, so one window over the join's own keys serves all: texts are shuffled once
+    one = Window.partitionBy("__id", "__hash").orderBy("__id", "__hash")
+    kept = joined.filter("coalesce(__stay, true)").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
+    return kept.drop("__id", "__hash", "__stay", "__n").unionByName(docs.filter(~whole))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
