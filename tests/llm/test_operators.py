@@ -420,6 +420,26 @@ def test_repeats_find_edited_passages(spark):
         assert len(pairs) >= 10 and len(got & pairs) >= 0.9 * len(pairs), (edit, len(got & pairs), len(pairs))
 
 
+def test_repeats_of_texts_that_repeat_a_line(spark):
+    rng = random.Random(34)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(24):  # the earlier text has the passage's line before, near or far from it, so it has two windows of one signature
+        line = fresh(46)
+        p = fresh(2) + line + fresh(2)
+        docs += [fresh(20) + line + fresh((10, 300)[k % 2]) + p + fresh(20), fresh(30) + p + fresh(30)]
+        want[len(docs) - 1] = 50
+    for one, n, m in ((20, 60, 60), (1, 2000, 2000), (20, 60, 10), (60, 10, 10), (20, 60, 1000)):  # longer than verification sees at once
+        line = fresh(one)
+        docs += [fresh(60) + line * m + fresh(60), fresh(70) + line * n + fresh(50)]
+        want[len(docs) - 1] = one * n
+    got = Counter()
+    for r in substring.repeats(table(spark, [(i, " ".join(t), "s") for i, t in enumerate(docs)])).collect():
+        assert r.first_doc_id == r.doc_id - 1
+        got[r.doc_id] += r.n_words
+    assert got == want
+
+
 def test_repeats_in_large_groups_lose_no_edited_passage(spark):
     rng = random.Random(33)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
