@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from textloom.llm import chat, classifier, counting, epsilon_grid, mixing, packing, quality, simhash, substring, warc
@@ -453,6 +454,42 @@ def test_repeats_in_large_groups_lose_no_edited_passage(spark):
     assert got == want
 
 
+def test_pairs_are_compared_many_at_once(monkeypatch):
+    rng = np.random.default_rng(35)
+    rows, calls, runs = [], [], substring._runs
+    for k in range(300):
+        b = rng.integers(0, 1 << 32, 120).astype(np.uint32)
+        a = np.concatenate([b[20:100], b[:7]])
+        rows.append({"a": k, "b": 1000 + k, "spots": [{"diag": -20, "lo": 60, "hi": 60}], "ta": a.tobytes(), "a0": 0, "tb": b.tobytes(), "b0": 0})
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("spots", substring._SPOT), ("ta", pa.binary()), ("a0", pa.int32()), ("tb", pa.binary()), ("b0", pa.int32())])
+    monkeypatch.setattr(substring, "_runs", lambda *x: calls.append(1) or runs(*x))
+    got = [r for x in substring._verify(iter([pa.RecordBatch.from_pylist(rows, kinds)])) for r in x.to_pylist()]
+    assert got == [{"b": 1000 + k, "s": 20, "e": 100, "a": k, "x": 0, "y": 80} for k in range(300)]
+    assert len(calls) <= 30
+
+
+@pytest.mark.parametrize("most", [50, 1 << 20])
+def test_groups_of_windows_in_memory_and_in_files(monkeypatch, most):
+    rng = np.random.default_rng(36)
+    key, id_, p = rng.integers(-300, 300, 900), rng.integers(0, 50, 900), rng.integers(0, 1 << 16, 900)
+    salt = np.where(key == 7, 1 + id_ % 3, 0).astype(np.int16)
+    key[:90] = np.arange(1000, 1090)  # alone
+    monkeypatch.setattr(substring, "AT_MOST", most)
+    want, size = set(), lambda rows: sum(substring.FEW + 1 if x >> 12 & 1 else 1 for _, x in rows)
+    groups = defaultdict(list)
+    for k, s, i, x in zip(key.tolist(), salt.tolist(), id_.tolist(), p.tolist()):
+        groups[k, s].append((i, x))
+    for (k, s), rows in groups.items():
+        want |= {(k, s, i, x, size(rows), *min(rows)) for i, x in rows if s or size(rows) > size([(i, x)])}
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[m : m + 100]) for c in (key, id_, p, salt)], ["key", "id", "p", "salt"]) for m in range(0, 900, 100)]
+    packed = list(substring._packed(iter(batches), 5, True))
+    got = []
+    for part in range(5):
+        own = [x.filter(pa.compute.equal(x.column(0), part)) for x in packed]
+        got += [tuple(r.values()) for x in substring._grouped(iter([x for x in own if x.num_rows]), True) for r in x.to_pylist()]
+    assert set(got) == want
+
+
 # 7: quality
 
 def test_quality_rules_on_odd_rows(spark, odd, empty):
