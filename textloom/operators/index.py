@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.storage import materialize
 
+BAG = "array<struct<term: string, tf: bigint>>"
+
 
 @dataclass
 class Index:
@@ -27,6 +29,10 @@ class Index:
     doclen: DataFrame
     verified: DataFrame | None = None
     meta: dict = field(default_factory=dict)
+    bags: DataFrame | None = None
+    #: Whether the terms are counted and written, or counted from the texts whenever they are needed.
+    counted: bool = True
+    latest: dict = field(default_factory=dict, repr=False)
 
     @property
     def term_stats(self) -> DataFrame:
@@ -50,29 +56,23 @@ class Index:
         return self.chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).withColumn("tokens", F.floor(F.col("bytes") / 4))
 
 
-def build(chunks: DataFrame, verified: DataFrame | None = None) -> Index:
-    """Index ``chunks`` (cid, text, ... ). Their terms are counted once and written."""
-    return of_bags(chunks, materialize(bags(chunks), "bags"), verified)
+def build(chunks: DataFrame, verified: DataFrame | None = None, stored: bool = True) -> Index:
+    """Index ``chunks`` (cid, text, ... ). Their terms are counted once and written or, for an index that is read
+    once or twice, counted as they are read: writing and reading all bags takes longer than counting."""
+    return replace(of_bags(chunks, materialize(bags(chunks), "bags") if stored else bags(chunks), verified), counted=stored)
 
 
 def bags(chunks: DataFrame) -> DataFrame:
     """(cid, dl, b): how often each chunk has each of its terms. A chunk is one row, so that nothing
-    is shuffled: equal terms are neighbours in the sorted array."""
-    terms = F.sort_array(F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")))
-
-    def count(t: Column) -> Column:
-        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
-        bag = T.let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
-            F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).cast("bigint").alias("tf"))))
-        return F.struct(F.size(t).alias("dl"), bag.alias("b"))
-
-    return chunks.select("cid", T.let(terms, count).alias("x")).select("cid", "x.dl", "x.b")
+    is shuffled; terms are counted in Python, by Arrow batches."""
+    kind = chunks.schema["cid"].dataType.simpleString()
+    return chunks.select("cid", "text").mapInArrow(T.count_terms(["cid"]), f"cid {kind}, dl int, b {BAG}")
 
 
 def of_bags(chunks: DataFrame, bags: DataFrame, verified: DataFrame | None = None) -> Index:
     """An index over bags (cid, dl, b: array of (term, tf)), the form in which tokens are counted once."""
     postings = bags.select("cid", "dl", F.explode("b").alias("x")).select(F.col("x.term").alias("term"), "cid", F.col("x.tf").alias("tf"), "dl")
-    return Index(chunks, postings, bags.select("cid", "dl"), verified)
+    return Index(chunks, postings, bags.select("cid", "dl"), verified, bags=bags)
 
 
 def save(index: Index, path: str) -> str:
@@ -102,4 +102,5 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> Index:
 def append(index: Index, chunks: DataFrame) -> Index:
     """The index with further chunks, whose ids have to be new."""
     new = build(chunks)
-    return Index(index.chunks.unionByName(chunks, allowMissingColumns=True), index.postings.unionByName(new.postings, allowMissingColumns=True), index.doclen.unionByName(new.doclen), index.verified, dict(index.meta))
+    both = index.bags.unionByName(new.bags) if index.bags is not None else None
+    return Index(index.chunks.unionByName(chunks, allowMissingColumns=True), index.postings.unionByName(new.postings, allowMissingColumns=True), index.doclen.unionByName(new.doclen), index.verified, dict(index.meta), both)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import scoring
 from textloom.operators.index import Index
+from textloom.operators.storage import discard, materialize
 
 #: Scores are rounded to so many places before they are ranked, as the order in which partial
 #: sums are added must not decide a tie.
@@ -63,6 +69,43 @@ def with_text(index: Index, hits: DataFrame) -> DataFrame:
 
 
 def search(index: Index, questions: DataFrame, k: int = 5, flavour: Flavour = BM25, qid: str = "qid", question: str = "question") -> DataFrame:
-    """(qid, cid, score, rank): ties go to the later chunk in BM25, to the earlier one in FTS."""
+    """(qid, cid, score, rank): ties go to the later chunk in BM25, to the earlier one in FTS. Chunks are
+    scored where their rows are, and the hits, k of each question, are written."""
     tie = F.desc("cid") if flavour.later_first else F.asc("cid")
-    return ranked(score(index, questions, flavour, qid, question), k, tie)
+    asked = question_terms(questions, flavour, qid, question)
+    found = [materialize(ranked(_slice(index, a, k, flavour), k, tie), "hits") for a in scoring.slices(asked.withColumnRenamed("qf", "n"))]
+    return reduce(DataFrame.unionByName, found) if found else ranked(score(index, questions, flavour, qid, question), k, tie)
+
+
+def _slice(index: Index, asked: scoring.Asked, k: int, flavour: Flavour) -> DataFrame:
+    """(qid, cid, score): each task's k best of the questions of a slice."""
+    rows = _chosen(index, asked.terms)
+    n, avgdl = index.corpus.first() if index.counted else rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    df = scoring.document_counts(rows, asked.terms)
+    ratio = (n - df + 0.5) / (df + 0.5)
+    idf = np.log(1 + ratio) if flavour.smooth else np.maximum(np.log(ratio, where=ratio > 0, out=np.full(len(ratio), FLOOR)), FLOOR)
+    weight = (asked.n if flavour.repeats else 1.0) * idf[asked.t]
+    k1, b = flavour.k1, flavour.b
+    value = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    return scoring.best(rows, asked, weight, scoring.chosen_entries(asked.terms, value), k, flavour.later_first, PLACES)
+
+
+def _chosen(index: Index, terms: pa.Array) -> DataFrame:
+    """The rows of ``scoring.chosen``. Those of the latest terms are kept, as searches of one batch of questions
+    ask for the same ones."""
+    key = hashlib.sha256("\0".join(terms.to_pylist()).encode()).digest()
+    if key not in index.latest:
+        for old in index.latest.values():
+            discard(old)
+        index.latest.clear()
+        rows = index.chunks.select("cid", "text") if not index.counted else index.bags if index.bags is not None else _regrouped(index, terms)
+        index.latest[key] = scoring.chosen(rows, terms)
+    return index.latest[key]
+
+
+def _regrouped(index: Index, terms: pa.Array) -> DataFrame:
+    """(cid, dl, b) from the postings of ``terms`` alone, for an index without bags."""
+    wanted = index.postings.sparkSession.createDataFrame(pa.table({"term": terms}))
+    hits = index.postings.join(F.broadcast(wanted), "term", "left_semi")  # a slice's terms
+    hits = hits if "dl" in index.postings.columns else hits.join(index.doclen, "cid")
+    return hits.groupBy("cid").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("b"))

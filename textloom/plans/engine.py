@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +135,7 @@ class Engine:
         """(qid, rank, cid, cids, text, score, source) of all questions (qid, question)."""
         k = k or self.k
         repos = self.spark.createDataFrame([(r,) for r in self.repos], "repo string") if self.repos else None
-        x = self.index if self.verified_on else index.Index(self.index.chunks, self.index.postings, self.index.doclen)
+        x = self.index if self.verified_on else replace(self.index, verified=None)
         return retrieve.retrieve(x, questions, self.search_many, k, repos, scope_col)
 
     def retrieve(self, question: str, k: int | None = None, scope: str | None = None) -> list[tuple[int, str, float]]:
