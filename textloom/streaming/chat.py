@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.index import BAG
 from textloom.operators.lexical import BM25, PLACES, Flavour
 
 
@@ -19,27 +23,35 @@ def exchanges(messages: DataFrame) -> DataFrame:
 
 
 def postings(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, term, tf, dl): what an exchange adds to its conversation's index. Each row is
+    """(conv_id, turn, dl, b: array of (term, tf)): what an exchange adds to its conversation's index. Each row is
     made from its own exchange alone, so a stream can append it."""
-    t = turns.select("conv_id", "turn", T.terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    counts = t.select("conv_id", "turn", "dl", F.explode_outer(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))).alias("p"))
-    return counts.select("conv_id", "turn", "p.term", F.col("p.tf").cast("bigint").alias("tf"), "dl")
+    kinds = ", ".join(f"{n} {turns.schema[n].dataType.simpleString()}" for n in ("conv_id", "turn"))
+    return turns.select("conv_id", "turn", "text").mapInArrow(T.count_terms(["conv_id", "turn"]), f"{kinds}, dl int, b {BAG}")
 
 
 def retrieve(posted: DataFrame, questions: DataFrame, k: int = 3, flavour: Flavour = BM25) -> DataFrame:
     """(qid, conv_id, turn, score, rank): each question (qid, conv_id, question) against its own
-    conversation; frequencies and lengths are those of the conversation. Later turns win ties."""
-    tokens = T.bm25_terms(F.col("question"))
-    asked = questions.select("qid", "conv_id", F.explode(tokens).alias("term")).groupBy("qid", "conv_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    length = posted.groupBy("conv_id", "turn").agg(F.max("dl").alias("dl"))
-    corpus = length.groupBy("conv_id").agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    df = posted.filter("term IS NOT NULL").groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    j = posted.join(asked, ["conv_id", "term"]).join(df, ["conv_id", "term"]).join(corpus, "conv_id")
+    conversation; frequencies and lengths are those of the conversation. Later turns win ties. Exchanges are
+    shuffled once, to their conversations; only the terms asked for become rows."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = pa.array([T.bm25_list(t) for t in b.column("question").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("conv_id"), terms], ["qid", "conv_id", "asked"])
+
+    kinds = ", ".join(f"{n} {questions.schema[n].dataType.simpleString()}" for n in ("qid", "conv_id"))
+    asked = questions.select("qid", "conv_id", "question").mapInArrow(ask, f"{kinds}, asked array<string>")
+    whole = Window.partitionBy("conv_id")
+    own = posted.withColumn("N", F.count(F.lit(1)).over(whole)).withColumn("avgdl", F.avg("dl").over(whole)).join(asked, "conv_id")
+    hits = own.select("qid", "conv_id", "turn", "dl", "N", "avgdl", "asked", F.explode("b").alias("x")).filter(F.array_contains("asked", F.col("x.term")))
+    hits = hits.select("qid", "conv_id", "turn", "dl", "N", "avgdl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"),
+                       F.size(F.filter("asked", lambda t: t == F.col("x.term"))).alias("qf"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("conv_id", "qid", "term"))
+    j = hits.withColumn("df", df)
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + flavour.k1 * (1 - flavour.b + flavour.b * F.col("dl") / F.col("avgdl"))
-    s = j.groupBy("qid", "conv_id", "turn").agg(F.round(F.sum(F.col("qf") * idf * F.col("tf") * (flavour.k1 + 1) / norm), PLACES).alias("score"))
+    s = j.groupBy("conv_id", "qid", "turn").agg(F.round(F.sum(F.col("qf") * idf * F.col("tf") * (flavour.k1 + 1) / norm), PLACES).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("turn"))
-    return s.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return s.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("qid", "conv_id", "turn", "score", "rank")
 
 
 def stream_postings(turns: DataFrame, path: str, checkpoint: str):
